@@ -9,6 +9,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_neighbour_vote_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
@@ -28,6 +42,8 @@ def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_grouping_genetic_packing": op1_grouping_genetic_packing,
+    "op2_neighbour_vote_quality": op2_neighbour_vote_quality,
     "op7_suffix_array_decontamination": op7_suffix_array_decontamination,
     "op9_seekable_warc": op9_seekable_warc,
     "op10_prefix_sum_shards": op10_prefix_sum_shards,
