@@ -50,7 +50,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends, hashes, first = tv.words(raw, offsets, tv.NOT_SPACE)
     words = np.diff(first)
     of = np.repeat(np.arange(n), words)
-    distinct = lambda keys, where: np.bincount(np.unique(np.stack([where.astype(np.uint64), keys]), axis=1)[0].astype(np.int64), minlength=n) if len(keys) else np.zeros(n)
+    distinct = lambda keys, where: _distinct(keys, where, n)
     s, e = tv.spans(~_LINE[raw], offsets)
     lines = np.searchsorted(s, offsets)
     line_of = np.repeat(np.arange(n), np.diff(lines))
@@ -68,6 +68,14 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(keys: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+    """Distinct keys in each document, told apart by a hash of both."""
+    if not len(keys):
+        return np.zeros(n)
+    _, at = np.unique(tv.mix(keys + tv.mix(where.astype(np.uint64))), return_index=True)
+    return np.bincount(where[at], minlength=n)
+
+
 @dataclass
 class Model:
     mean: np.ndarray

@@ -14,7 +14,7 @@ def op1_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op2_neighbour_vote_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,18 @@ def op2_neighbour_vote_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_prefix_filter_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+def op4_bayesian_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngramjoin import join_classes
+
+    return join_classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
@@ -44,6 +56,8 @@ def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_grouping_genetic_packing": op1_grouping_genetic_packing,
     "op2_neighbour_vote_quality": op2_neighbour_vote_quality,
+    "op3_prefix_filter_line_dedup": op3_prefix_filter_line_dedup,
+    "op4_bayesian_ngram_join": op4_bayesian_ngram_join,
     "op7_suffix_array_decontamination": op7_suffix_array_decontamination,
     "op9_seekable_warc": op9_seekable_warc,
     "op10_prefix_sum_shards": op10_prefix_sum_shards,
