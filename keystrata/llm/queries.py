@@ -35,6 +35,24 @@ def op4_bayesian_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_classes(_table(spark, sf_dir, "documents"))
 
 
+def op5_randomness_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_perplexity_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import judge
+
+    return judge(_table(spark, sf_dir, "documents"))
+
+
+def op8_log_bilinear_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
@@ -58,6 +76,9 @@ QUERIES = {
     "op2_neighbour_vote_quality": op2_neighbour_vote_quality,
     "op3_prefix_filter_line_dedup": op3_prefix_filter_line_dedup,
     "op4_bayesian_ngram_join": op4_bayesian_ngram_join,
+    "op5_randomness_secret_scan": op5_randomness_secret_scan,
+    "op6_perplexity_quality_rules": op6_perplexity_quality_rules,
+    "op8_log_bilinear_scoring": op8_log_bilinear_scoring,
     "op7_suffix_array_decontamination": op7_suffix_array_decontamination,
     "op9_seekable_warc": op9_seekable_warc,
     "op10_prefix_sum_shards": op10_prefix_sum_shards,
