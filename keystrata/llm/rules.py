@@ -3,7 +3,7 @@
 The model is a modified Kneser-Ney model of order three over UTF-8 bytes, one
 for each language, counted over all documents.  Bytes make its tables bounded
 by construction (256**3 a language), so they can be broadcast as sorted arrays
-of hashes.  Each language's band of log perplexity is [q1 - w*(q3-q1),
+of hashes.  Every distinct language value has an id of its own, null too.  Each language's band of log perplexity is [q1 - w*(q3-q1),
 q3 + w*(q3-q1)] over all its documents of enough words.
 """
 
@@ -14,13 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .store import materialise
 
-LANGS = 64  # languages are told apart by a hash of their name
 WIDTH = 3.0
 LEAST_WORDS = 50
 SYMBOLS = tv.byte_set(b"#*$%&|<>")
@@ -50,15 +49,18 @@ class NgramModel:
         return np.where(self.keys[at] == h, self.logs[at], np.log(1e-9)) if len(self.keys) else np.zeros(len(codes))
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    n = [max(1, int((counts == k).sum())) for k in (1, 2, 3, 4)]
+def _discounts(counts: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """The discount of each count, from the counts of counts of its own language."""
+    names, at = np.unique(lang, return_inverse=True)
+    n = [np.maximum(1, np.bincount(at[counts == k], minlength=len(names))) for k in (1, 2, 3, 4)]
     y = n[0] / (n[0] + 2 * n[1])
-    return np.clip([0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], 0, [0, 1, 2, 3])
+    table = np.stack([0 * y, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], axis=1)
+    return np.clip(table, 0, [0, 1, 2, 3])[at, np.minimum(counts, 3)]
 
 
-def _level(context: np.ndarray, counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+def _level(context: np.ndarray, counts: np.ndarray, lower: np.ndarray, lang: np.ndarray) -> np.ndarray:
     """Interpolated probabilities of n-grams from their counts and the next lower order's probability."""
-    d = _discounts(counts)[np.minimum(counts, 3)]
+    d = _discounts(counts, lang)
     _, at = np.unique(context, return_inverse=True)
     total, back = np.bincount(at, counts), np.bincount(at, d)
     return np.maximum(counts - d, 0) / total[at] + back[at] / total[at] * lower
@@ -71,17 +73,20 @@ def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> NgramModel:
     lang, two, last = codes >> 24, codes & 0xFFFF, codes & 0xFF
     pair, pair_at, pair_n = np.unique((lang << 24) | two, return_inverse=True, return_counts=True)
     single, single_at, single_n = np.unique((pair >> 24 << 24) | (pair & 0xFF), return_inverse=True, return_counts=True)
-    p1 = _level(single >> 24, single_n, np.full(len(single), 1 / 256))
-    p2 = _level((pair >> 24 << 24) | (pair >> 8 & 0xFF), pair_n, p1[single_at])
-    p3 = _level((lang << 24) | (codes >> 8 & 0xFFFF), counts, p2[pair_at])
+    p1 = _level(single >> 24, single_n, np.full(len(single), 1 / 256), single >> 24)
+    p2 = _level((pair >> 24 << 24) | (pair >> 8 & 0xFF), pair_n, p1[single_at], pair >> 24)
+    p3 = _level((lang << 24) | (codes >> 8 & 0xFFFF), counts, p2[pair_at], lang)
     keys = tv.mix(codes.astype(np.uint64))
     order = np.argsort(keys)
     return NgramModel(keys[order], np.log(p3)[order])
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    lang = F.pmod(F.xxhash64(F.coalesce(F.col(lang_col), F.lit(""))), F.lit(LANGS)).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), lang.alias("_lang"))
+    """_id, _text and the number of the language (from 0, null first) of each row."""
+    plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(lang_col).alias("_name"))
+    langs = plain.select("_name").distinct().select(F.col("_name").alias("_n"), (F.row_number().over(Window.orderBy("_name")) - 1).cast("long").alias("_lang"))
+    langs = materialise(langs, "languages")
+    return plain.join(F.broadcast(langs), F.col("_name").eqNullSafe(F.col("_n"))).select("_id", "_text", "_lang")
 
 
 def count_grams(slim: DataFrame) -> DataFrame:
@@ -128,7 +133,8 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
     """One row per row of docs with its counts, base_failed, kept, log_perplexity and the band.
 
-    Null texts have no words and fail.  A null language is a language of its own.
+    Null texts have no words and fail.  A null language is a language of its own,
+    apart from the empty one.
     Repeated rows each get a result; an empty table gives no rows.
     """
     slim = _slim(docs, id_col, text_col, lang_col)
@@ -153,7 +159,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     q = F.percentile_approx("log_perplexity", [0.25, 0.75], 10000)
     bands = out.where(F.col("n_words") >= LEAST_WORDS).groupBy("_lang").agg(q.alias("_q")).select(
         "_lang", (F.col("_q")[0] - width * (F.col("_q")[1] - F.col("_q")[0])).alias("band_low"), (F.col("_q")[1] + width * (F.col("_q")[1] - F.col("_q")[0])).alias("band_high")
-    )  # LANGS rows at most
+    )  # one row a language
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.join(F.broadcast(bands), "_lang", "left").select(
         F.col("_id").alias(id_col), *names, failed.alias("base_failed"),
