@@ -110,19 +110,21 @@ def verified(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
 
 
 def _shingled(docs: DataFrame, with_sets: bool) -> DataFrame:
-    """_id, c1, c2 and a signature or the set; c1 is null where there is no word."""
+    """The columns of docs but _text, c1, c2 and a signature or the set; c1 is null where there is no word."""
+    names = [c for c in docs.columns if c != "_text"]
     last = "_set array<long>" if with_sets else "_sig array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = tv.column_bytes(batch.column(1))
+            raw, offsets = tv.column_bytes(batch.column("_text"))
             for a, b in tv.slices(offsets, 1 << 21):
                 sets = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 keys = [digest(s) if len(s) else (None, None) for s in sets]
                 more = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())) if with_sets else pa.array([signature(s) if len(s) else np.zeros(0, np.int32) for s in sets], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), more], names=["_id", "c1", "c2", last.split()[0]])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in names], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), more], names=[*names, "c1", "c2", last.split()[0]])
 
-    return docs.select("_id", "_text").mapInArrow(run, f"_id long, c1 long, c2 long, {last}")
+    kept = "".join(f"{c} long, " for c in names)
+    return docs.mapInArrow(run, f"{kept}c1 long, c2 long, {last}")
 
 
 CELL_OUT = "cls long, links long, root long"
@@ -162,10 +164,16 @@ def _compare(rows: pd.DataFrame, threshold: float, least: dict[int, int]) -> pd.
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
-    """_id, class_id, n_links, group_id of every row of docs(_id, _text)."""
+    """The columns of docs (_id, _text and other numbers) but _text, class_id, n_links, group_id and grp.
+
+    grp names the linked group, null where there is no word.  Ids only name what
+    is found: rows of one id may be of several classes, and ids may be null.
+    """
+    names = [c for c in docs.columns if c != "_text"]
+    docs = docs.withColumn("_th", F.xxhash64("_text"))
     marked = materialise(_shingled(docs, False), "shingled")
     named = marked.where("c1 is not null")
-    classes = materialise(named.groupBy("c1", "c2").agg(F.min("_id").alias("first"), F.count("*").alias("copies"), F.min("_sig").alias("_sig")), "classes")
+    classes = materialise(named.groupBy("c1", "c2").agg(F.min("_id").alias("first"), F.min(F.struct("_id", "_th")).alias("home"), F.count("*").alias("copies"), F.min("_sig").alias("_sig")), "classes")
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "class-ids")
     bands = F.array(*[F.xxhash64(F.lit(k), F.slice("_sig", k * BAND + 1, BAND)) for k in range(HASHES // BAND)])
     banded = materialise(classes.select("cls", F.explode(bands).alias("h")), "bands")
@@ -174,7 +182,8 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     sizes = together.groupBy("root").agg(F.count("*").alias("_size"))
     blocked = together.join(sizes, "root").select(F.col("v").alias("cls"), F.col("root").alias("comp"), F.expr(f"cast(ceil(_size / {BLOCK}) as int)").alias("nb"))
     blocked = materialise(blocked.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).join(classes, "cls"), "blocked")
-    homes = docs.join(blocked.select(F.col("first").alias("_id")).distinct(), "_id", "left_semi")
+    where = blocked.select(F.col("home._id").alias("_i"), F.col("home._th").alias("_h")).distinct()
+    homes = docs.join(where, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left_semi").select("_text")
     sets = materialise(_shingled(homes, True).where("c1 is not null").dropDuplicates(["c1", "c2"]).select("c1", "c2", "_set"), "shingle-sets")
     cells = blocked.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("cls", "comp", "copies", "_sig", "b", "c1", "c2", F.least("b", "_o").alias("x"), F.greatest("b", "_o").alias("y"))
     # Small components share tasks: a cell is named by a hash of what it compares.
@@ -182,12 +191,17 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     out = cells.join(sets, ["c1", "c2"]).drop("c1", "c2").groupBy("comp", "x", "y").applyInPandas(lambda rows: _compare(rows, threshold, least), CELL_OUT)
     out = materialise(out, "links")
     links = out.groupBy("cls").agg(F.sum("links").alias("_links"))
-    first_of = classes.select("cls", "first")
-    forest = out.where("cls <> root").join(first_of, "cls").select(F.col("first").alias("a"), F.col("root").alias("cls")).join(first_of, "cls").select("a", F.col("first").alias("b"))
-    groups = components(forest).select(F.col("v").alias("first"), F.col("root").alias("_group"))
-    told = classes.join(links, "cls", "left").join(groups, "first", "left").select("c1", "c2", F.col("first").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("_group", "first").alias("group_id"))
-    with_words = named.select("_id", "c1", "c2").join(told, ["c1", "c2"]).select("_id", "class_id", "n_links", "group_id")
-    return with_words.unionByName(marked.where("c1 is null").select("_id", F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("group_id")))
+    forest = out.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b"))
+    groups = components(forest).withColumnsRenamed({"v": "cls", "root": "grp"})
+    leasts = groups.join(classes.select("cls", "first"), "cls").groupBy("grp").agg(F.min("first").alias("_least"))
+    groups = groups.join(leasts, "grp")
+    told = classes.join(links, "cls", "left").join(groups, "cls", "left").select(
+        "c1", "c2", F.col("first").alias("class_id"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("_least", "first").alias("group_id"), F.coalesce("grp", "cls").alias("grp"),
+    )
+    with_words = named.select(*names, "c1", "c2").join(told, ["c1", "c2"]).drop("c1", "c2")
+    alone = marked.where("c1 is null").select(*names, F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("group_id"), F.lit(None).cast("long").alias("grp"))
+    return with_words.unionByName(alone)
 
 
 def join_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,18 +214,20 @@ def join_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     not allowed to name a class unless all its ids are null.  An empty table gives no rows.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return _classes(slim, threshold).withColumnRenamed("_id", id_col)
+    return _classes(slim, threshold).drop("grp").withColumnRenamed("_id", id_col)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each linked group, that of the least id; the same columns."""
+    """docs with one row of each linked group, one of the least id (null ids last); the same columns.
+
+    Rows are told apart by a number of their own, so rows of one id go or stay
+    each by its text.  A text without words stays.
+    """
     names = [f"_c{k}" for k in range(len(docs.columns))]
     i, t = docs.columns.index(id_col), docs.columns.index(text_col)
-    told = materialise(_classes(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), threshold), "groups")
-    gone = told.where("_id <> group_id").select(F.col("_id").alias("_gone")).distinct()
-    several = told.where("_id = group_id").groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
-    plain = docs.toDF(*names)
-    kept = plain.join(gone, F.col(names[i]) == F.col("_gone"), "left_anti")
-    alone = kept.join(several, F.col(names[i]) == F.col("_id"), "left_anti")
-    repeated = kept.join(several, F.col(names[i]) == F.col("_id"), "left_semi").dropDuplicates([names[i]])
-    return alone.unionByName(repeated).toDF(*docs.columns)
+    plain = materialise(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    told = _classes(plain.select("_row", F.col(names[i]).cast("long").alias("_id"), F.col(names[t]).alias("_text")), threshold).where("grp is not null")
+    told = materialise(told.select("_row", "_id", "grp"), "groups")
+    stays = told.groupBy("grp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_s"), F.count("*").alias("_n")).where("_n > 1").select("grp", F.col("_s._row").alias("_stays"))
+    gone = told.join(stays, "grp").where("_row <> _stays").select("_row")
+    return plain.join(gone, "_row", "left_anti").drop("_row").toDF(*docs.columns)
