@@ -231,7 +231,7 @@ def _match(slim: DataFrame, bench: Benchmark, keep: list[str], last: bool) -> Da
             for a, b in tv.slices(offsets):
                 part = batch.slice(a, b - a)
                 h = match_shard(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], own)
-                items = [[ids[k] for k in x] for x in h.items]
+                items = [sorted({ids[k] for k in x}) for x in h.items]
                 longest = [ids[k] if k >= 0 else None for k in h.longest_item]
                 size, at, spans = h.longest.tolist(), h.longest_at.tolist(), [[] for _ in items]
                 for k, before in enumerate(part.select(FOUND_NAMES).to_pylist()) if again else ():
@@ -294,4 +294,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least_items: int
     names = [f"_c{k}" for k in range(len(docs.columns))]
     plain = docs.toDF(*names)
     found = find_matches(plain, benchmark, names, names[docs.columns.index(text_col)])
-    return found.where(F.size("_item_ids") < least_items).select(*names).toDF(*docs.columns)
+    return found.where(F.size(F.array_distinct("_item_ids")) < least_items).select(*names).toDF(*docs.columns)
