@@ -26,7 +26,7 @@ def op2_neighbour_vote_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_prefix_filter_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
-    return dedup_lines(_table(spark, sf_dir, "documents"))
+    return dedup_lines(_table(spark, sf_dir, "documents"), least=1)
 
 
 def op4_bayesian_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
