@@ -4,8 +4,9 @@ The benchmark is broadcast in blocks of a checked size: one pass over the
 documents for each block, with what earlier passes found carried along.  Each Arrow batch of documents is a shard: its words become
 benchmark word codes, the suffixes that could match at all are sorted into a
 suffix array, and every benchmark suffix is binary-searched in it.  That gives
-the occurrences of every window, and from these the longest verbatim matches
-and where they lie.  No document text is ever shuffled.
+the occurrences of every window.  Each occurrence is then searched in the
+benchmark's own suffix array, of suffixes at their full length, which gives the
+longest verbatim matches over all items and where they lie.  No document text is ever shuffled.
 
 The suffix array leaves out suffixes whose first words are not in the
 benchmark, since no benchmark suffix can share a window with them.
@@ -25,7 +26,7 @@ from . import textvec as tv
 from .store import materialise
 
 WINDOW = 8
-DEEP = 64  # words compared when suffixes are sorted and matches are prolonged
+_BASE = 0x9E3779B97F4A7C15
 BLOCK_BYTES = 16 << 20  # of benchmark text broadcast at once
 
 
@@ -40,6 +41,9 @@ class Benchmark:
     width: np.ndarray  # window length at each place, 0 where none begins
     pairs: np.ndarray  # sorted first * V + second of all places with a second word
     short_first: np.ndarray  # codes that are windows of one word
+    ends: np.ndarray  # end of the item of each code
+    order: np.ndarray  # places of the widest windows, by the words from there to the item's end
+    sums: np.ndarray  # running sums of the codes, see _sums
 
 
 def build_benchmark(ids: list, texts: list[str | None], window: int = WINDOW) -> Benchmark:
@@ -58,7 +62,33 @@ def build_benchmark(ids: list, texts: list[str | None], window: int = WINDOW) ->
     v = max(1, len(vocabulary))
     both = (codes[:-1] >= 0) & (codes[1:] >= 0)
     pairs = np.unique(codes[:-1][both] * v + codes[1:][both])
-    return Benchmark(vocabulary, codes, np.asarray(item_of, np.int64), ids, width, pairs, np.unique(codes[width == 1]))
+    cut = np.flatnonzero(codes < 0)
+    ends = cut[np.searchsorted(cut, np.arange(len(codes)))]
+    order = _full_order(codes)
+    order = order[width[order] == max(1, width.max())] if len(order) else order
+    return Benchmark(vocabulary, codes, np.asarray(item_of, np.int64), ids, width, pairs, np.unique(codes[width == 1]), ends, order, _sums(codes))
+
+
+def _full_order(codes: np.ndarray) -> np.ndarray:
+    """All places by their suffixes at full length, by prefix doubling; a suffix that ends earlier comes first."""
+    n, ends = len(codes), codes < 0
+    rank = np.where(ends, np.cumsum(ends) - 1, codes + ends.sum())
+    order, k = np.argsort(rank, kind="stable"), 1
+    while True:
+        second = np.full(n, -1, np.int64)
+        second[: max(0, n - k)] = rank[k:]
+        order = np.lexsort([second, rank])
+        rank[order] = np.cumsum(np.concatenate([[False], (np.diff(rank[order]) != 0) | (np.diff(second[order]) != 0)])[:n])
+        if not n or rank.max() == n - 1:
+            return order
+        k *= 2
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
+    """Running sums of a polynomial over the codes: equal stretches have equal differences, but for a power of the base."""
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(tv.mix((codes + 3).astype(np.uint64)) * tv._power(_BASE, len(codes)), out=out[1:])
+    return out
 
 
 def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -179,27 +209,54 @@ def match_shard(raw: np.ndarray, offsets: np.ndarray, bench: Benchmark) -> Hits:
 
 
 def _prolong(hits: Hits, codes, last, doc_of, first, bench: Benchmark, starts, back, kind, place, kinds) -> None:
-    """Extend occurrences to the right; windows overlap, so the leftmost one spans the whole match.
+    """The longest match from each occurrence; windows overlap, so the leftmost one spans the whole match.
 
-    One source of each kind is followed (equal windows of several items are told
-    apart by ``items``), a step of one word at a time over all still growing.
+    The suffixes next to an occurrence in the benchmark's order share the most
+    words with it.  A window of a shorter item is that whole item already.
     """
+    own = _sums(codes)
+    power = tv._power(_BASE, max(len(codes), len(bench.codes)) + 1)
+
+    def shared(t, d, most):
+        """How many words are equal from the benchmark's place t and the document's place d."""
+        most = np.minimum(most, bench.ends[t] - t)
+        size = np.zeros(len(t), np.int64)
+        for bit in range(int(most.max(initial=0)).bit_length() - 1, -1, -1):
+            more = np.minimum(size + (1 << bit), most)
+            same = (bench.sums[t + more] - bench.sums[t]) * power[d] == (own[d + more] - own[d]) * power[t]
+            size = np.where(same, more, size)
+        return size
+
+    def below(d, most, upper: bool):
+        """How many suffixes of the benchmark come before the ``most`` words from d, those that begin with them included or not."""
+        low, high = np.zeros(len(d), np.int64), np.full(len(d), len(bench.order), np.int64)
+        while (open_ := low < high).any():
+            mid = (low + high) // 2
+            t = bench.order[np.minimum(mid, len(bench.order) - 1)]
+            n = shared(t, d, most)
+            word = bench.codes[t + n]  # -1 at the item's end
+            less = np.where(n == most, upper, (t + n == bench.ends[t]) | (word < codes[np.minimum(d + n, len(codes) - 1)]))
+            low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
+        return low
+
     source = np.zeros(len(kinds), np.int64)
     source[back[::-1]] = starts[::-1]
-    at = source[kind]
     size = kinds[kind, 0].copy()
-    growing = np.arange(len(place))
-    while len(growing):
-        t, d = at[growing] + size[growing], place[growing] + size[growing]
-        ok = (d < last[place[growing]]) & (t < len(bench.codes))
-        ok &= (bench.codes[np.minimum(t, len(bench.codes) - 1)] >= 0) & (bench.codes[np.minimum(t, len(bench.codes) - 1)] == codes[np.minimum(d, len(codes) - 1)])
-        growing = growing[ok]
-        size[growing] += 1
+    wide = size == bench.width.max()
+    d = place[wide]
+    most = last[d] - d
+    at = below(d, most, False)
+    near = [shared(bench.order[np.clip(at + k, 0, len(bench.order) - 1)], d, most) for k in (-1, 0)]
+    size[wide] = np.maximum(*near)
     docs = doc_of[place]
     order = np.lexsort([place, -size, docs])
     best = order[np.concatenate([[True], np.diff(docs[order]) != 0])]
+    item = bench.item_of[source[kind[best]]]
+    wide = wide[best]
+    d, n = place[best][wide], size[best][wide]
+    item[wide] = [bench.item_of[bench.order[x:y]].min() for x, y in zip(below(d, n, False), below(d, n, True), strict=True)]  # the first of those that share it
     d = docs[best]
-    hits.longest[d], hits.longest_at[d], hits.longest_item[d] = size[best], place[best] - first[d], bench.item_of[at[best]]
+    hits.longest[d], hits.longest_at[d], hits.longest_item[d] = size[best], place[best] - first[d], item
 
 
 def _add_earlier(h: Hits, k: int, spans: list[int]) -> list[int]:
