@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
         step = materialise(step, "labels")
         up = step.select(F.col("v").alias("_r"), F.col("_r").alias("_rr"))
         new = materialise(step.join(up, "_r").select("v", "_old", F.least("_r", "_rr").alias("root")), "labels")
+        discard(step)
         if new.where("_old <> root").isEmpty():
+            discard(both)
             return new.select("v", "root")
         labels = new.select("v", "root")

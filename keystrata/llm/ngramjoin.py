@@ -16,18 +16,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import components
-from .store import materialise
+from .store import checked_broadcast, discard, materialise, release
 
 SHINGLE, THRESHOLD = 5, 0.8
-HASHES, BAND = 128, 4  # a pair of similarity 0.8 misses all 32 bands with probability 5e-8
+BANDS, BAND = 42, 6  # a pair of similarity 0.8 misses all bands with probability 3e-6, one of 0.4 with 0.84
+HASHES = 128  # values compared when pairs are pruned
 STEP, TOLERANCE = 16, 1e-5
 BLOCK, TILE = 1024, 256
-_SEEDS = tv.mix(np.arange(1, HASHES + 1, dtype=np.uint64))
+_SEEDS = tv.mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64))
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -45,12 +46,18 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> l
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(shingles), 4096):
-        part = (shingles[a : a + 4096, None] ^ _SEEDS[None, :]) * np.uint64(0x9E3779B97F4A7C15)
-        low = np.minimum(low, (part ^ (part >> np.uint64(29))).min(axis=0))
-    return (tv.mix(low) >> np.uint64(33)).astype(np.int32)
+def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(HASHES MinHash values, a hash of each band)."""
+    low = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(shingles), 2048):
+        part = (shingles[a : a + 2048, None] ^ _SEEDS[None, :]) * np.uint64(0x9E3779B97F4A7C15)
+        part ^= part >> np.uint64(29)
+        low = np.minimum(low, part.min(axis=0))
+    low = tv.mix(low)
+    band = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(BAND):
+        band = tv.mix(band * np.uint64(0x9E3779B97F4A7C15) + low[k::BAND])
+    return (low[:HASHES] >> np.uint64(33)).astype(np.int32), band.view(np.int64)
 
 
 def digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -112,7 +119,7 @@ def verified(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j:
 def _shingled(docs: DataFrame, with_sets: bool) -> DataFrame:
     """The columns of docs but _text, c1, c2 and a signature or the set; c1 is null where there is no word."""
     names = [c for c in docs.columns if c != "_text"]
-    last = "_set array<long>" if with_sets else "_sig array<int>"
+    last = ["_set array<long>"] if with_sets else ["_sig array<int>", "_bands array<long>"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,11 +127,16 @@ def _shingled(docs: DataFrame, with_sets: bool) -> DataFrame:
             for a, b in tv.slices(offsets, 1 << 21):
                 sets = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 keys = [digest(s) if len(s) else (None, None) for s in sets]
-                more = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())) if with_sets else pa.array([signature(s) if len(s) else np.zeros(0, np.int32) for s in sets], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in names], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), more], names=[*names, "c1", "c2", last.split()[0]])
+                if with_sets:
+                    more = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                else:
+                    pairs = [signature(s) if len(s) else (np.zeros(0, np.int32), np.zeros(0, np.int64)) for s in sets]
+                    more = [pa.array([x[0] for x in pairs], pa.list_(pa.int32())), pa.array([x[1] for x in pairs], pa.list_(pa.int64()))]
+                named = [*names, "c1", "c2", *[x.split()[0] for x in last]]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in names], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *more], names=named)
 
     kept = "".join(f"{c} long, " for c in names)
-    return docs.mapInArrow(run, f"{kept}c1 long, c2 long, {last}")
+    return docs.mapInArrow(run, f"{kept}c1 long, c2 long, {', '.join(last)}")
 
 
 CELL_OUT = "cls long, links long, root long"
@@ -163,33 +175,43 @@ def _compare(rows: pd.DataFrame, threshold: float, least: dict[int, int]) -> pd.
     return pd.DataFrame({"cls": cls[hit], "links": links[hit], "root": cls[root[hit]]})
 
 
-def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+def _components(classes: DataFrame) -> DataFrame:
+    """(cls, comp): classes that are linked by bands."""
+    banded = classes.select("cls", F.explode("_bands").alias("h"))
+    least = banded.withColumn("a", F.min("cls").over(Window.partitionBy("h"))).where("a <> cls")
+    together = components(materialise(least.select("a", F.col("cls").alias("b")).distinct(), "band-edges"))
+    return together.select(F.col("v").alias("cls"), F.col("root").alias("comp"))
+
+
+def _classes(docs: DataFrame, threshold: float, exact: bool = False) -> DataFrame:
     """The columns of docs (_id, _text and other numbers) but _text, class_id, n_links, group_id and grp.
 
     grp names the linked group, null where there is no word.  Ids only name what
     is found: rows of one id may be of several classes, and ids may be null.
     """
-    names = [c for c in docs.columns if c != "_text"]
+    names, spark = [c for c in docs.columns if c != "_text"], docs.sparkSession
     docs = docs.withColumn("_th", F.xxhash64("_text"))
     marked = materialise(_shingled(docs, False), "shingled")
     named = marked.where("c1 is not null")
-    classes = materialise(named.groupBy("c1", "c2").agg(F.min("_id").alias("first"), F.min(F.struct("_id", "_th")).alias("home"), F.count("*").alias("copies"), F.min("_sig").alias("_sig")), "classes")
-    classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "class-ids")
-    bands = F.array(*[F.xxhash64(F.lit(k), F.slice("_sig", k * BAND + 1, BAND)) for k in range(HASHES // BAND)])
-    banded = materialise(classes.select("cls", F.explode(bands).alias("h")), "bands")
-    stars = banded.groupBy("h").agg(F.min("cls").alias("a"), F.count("*").alias("_n")).where("_n > 1").select("h", "a")
-    together = components(banded.join(stars, "h").where("cls <> a").select(F.col("a"), F.col("cls").alias("b")).distinct())
-    sizes = together.groupBy("root").agg(F.count("*").alias("_size"))
-    blocked = together.join(sizes, "root").select(F.col("v").alias("cls"), F.col("root").alias("comp"), F.expr(f"cast(ceil(_size / {BLOCK}) as int)").alias("nb"))
-    blocked = materialise(blocked.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).join(classes, "cls"), "blocked")
+    classes = named.groupBy("c1", "c2").agg(F.min("_id").alias("first"), F.min(F.struct("_id", "_th")).alias("home"), F.count("*").alias("copies"), F.min(F.struct("_sig", "_bands")).alias("_s"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("cls"), "c1", "c2", "first", "home", "copies", "_s._sig", "_s._bands"), "classes")
+    release(spark)
+    together = classes.select("cls", F.lit(0).cast("long").alias("comp")) if exact else _components(classes)
+    together = materialise(together, "band-components")
+    release(spark)
+    sizes = together.groupBy("comp").agg(F.count("*").alias("_size"))
+    blocked = together.join(sizes, "comp").where("_size > 1").select("cls", "comp", F.expr(f"cast(ceil(_size / {BLOCK}) as int)").alias("nb"))
+    blocked = materialise(blocked.withColumn("b", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")).join(classes.drop("_bands"), "cls"), "blocked")
     where = blocked.select(F.col("home._id").alias("_i"), F.col("home._th").alias("_h")).distinct()
-    homes = docs.join(where, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left_semi").select("_text")
+    homes = docs.join(checked_broadcast(where, F.lit(32)), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left_semi").select("_text")
     sets = materialise(_shingled(homes, True).where("c1 is not null").dropDuplicates(["c1", "c2"]).select("c1", "c2", "_set"), "shingle-sets")
+    release(spark)
     cells = blocked.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("cls", "comp", "copies", "_sig", "b", "c1", "c2", F.least("b", "_o").alias("x"), F.greatest("b", "_o").alias("y"))
-    # Small components share tasks: a cell is named by a hash of what it compares.
     least = least_matches(threshold)
     out = cells.join(sets, ["c1", "c2"]).drop("c1", "c2").groupBy("comp", "x", "y").applyInPandas(lambda rows: _compare(rows, threshold, least), CELL_OUT)
     out = materialise(out, "links")
+    release(spark)
+    discard(sets, blocked, together)
     links = out.groupBy("cls").agg(F.sum("links").alias("_links"))
     forest = out.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b"))
     groups = components(forest).withColumnsRenamed({"v": "cls", "root": "grp"})
@@ -204,7 +226,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     return with_words.unionByName(alone)
 
 
-def join_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, group_id.
 
     class_id is the least id of the rows with an equal shingle set, n_links the
@@ -212,9 +234,10 @@ def join_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     group_id the least id of the linked rows.  A text without words (or null) is
     linked to nothing.  Rows with equal ids are rows of their own.  Null ids are
     not allowed to name a class unless all its ids are null.  An empty table gives no rows.
+    ``exact`` leaves the bands out and compares all classes, in blocks.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return _classes(slim, threshold).drop("grp").withColumnRenamed("_id", id_col)
+    return _classes(slim, threshold, exact).drop("grp").withColumnRenamed("_id", id_col)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
