@@ -8,7 +8,8 @@ its own offset inside the decompressed frame, so one record costs one ranged
 read and one frame's decompression.
 
 Payloads are never gathered by content: a row's digest decides its type by a
-join with the digests seen more than once, whose other side Spark may split.
+join with the digests seen more than once, and payloads are shuffled for that
+only where these digests are too many to broadcast.
 Writers name bundles by a fresh id and are known only through the index, so a
 repeated or speculative task leaves at most an unlisted file behind.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import run_dir, shuffle_width
+from .store import checked_broadcast, materialise, run_dir, shuffle_width
 
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1  # fixed by the seekable format
 FRAME_BYTES = 1 << 20
@@ -100,33 +101,36 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page/{page_id}')}>"
+def record_id(page_id, digest: str) -> str:
+    """The id of the one response with this payload, which its revisits name."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page/{page_id}/{digest}')}>"
 
 
 def _clean(value: object) -> str:
     return str(value).replace("\r", " ").replace("\n", " ")
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to, date: str) -> bytes:
-    """One WARC/1.1 record.  A revisit carries no payload but names its digest and length."""
-    revisit = refers_to is not None
+def record(page_id, url: str | None, payload: bytes, kind: str, refers_to, date: str) -> tuple[str, bytes]:
+    """(record id, one WARC/1.1 record).  A revisit carries no payload but names its digest and length."""
+    revisit, digest = kind == "revisit", base32_sha1(payload)
+    own = record_id(page_id, digest) if kind == "first" else f"<urn:uuid:{uuid.uuid4()}>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {own}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_clean(url) if url else 'urn:page:' + str(page_id)}",
-        f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
     ]
     head += [f"X-Page-Id: {page_id}"] if page_id is not None else []
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
+        head += [f"X-Refers-To-Page-Id: {refers_to}"] if refers_to is not None else []
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return own, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_records(plain: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -144,27 +148,33 @@ def parse_records(plain: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def with_types(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(page_id, url, payload, refers_to): the smallest id of each payload is the response.
+    """(page_id, url, payload, kind, refers_to): the smallest id of each payload is the response, null ids last.
 
-    Payloads shorter than ``least_bytes`` are all responses.  Equal rows with the
-    same id are all responses, since none is smaller than another.
+    kind is first, revisit or small: payloads shorter than ``least_bytes`` are all
+    responses.  Of rows equal in payload and smallest id one is the response, and
+    the others revisit it.
     """
-    slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
+    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     keyed = slim.withColumn("_key", F.sha2("payload", 256))
-    again = (
-        keyed.where(F.octet_length("payload") >= least_bytes)
-        .groupBy("_key")
-        .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-        .where("_n > 1")
-        .drop("_n")
-    )
-    return keyed.join(again, "_key", "left").select(
-        "page_id", "url", "payload", F.when(F.col("page_id") > F.col("_first"), F.col("_first")).alias("refers_to")
-    )
+    counts = keyed.where(F.octet_length("payload") >= least_bytes).groupBy("_key", "page_id").agg(F.count("*").alias("_n"))
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "_n")
+    again = counts.groupBy("_key").agg(F.min(order).alias("_first"), F.sum("_n").alias("_all")).where("_all > 1")
+    again = materialise(again.select("_key", F.col("_first.page_id").alias("_id"), (F.col("_first._n") > 1).alias("_tied")), "repeated-payloads")
+    told = keyed.join(checked_broadcast(again, F.lit(128)), "_key", "left")
+    lead = F.col("_tied").isNotNull() & F.col("page_id").eqNullSafe(F.col("_id"))
+    kind = F.when(F.octet_length("payload") < least_bytes, "small").when(F.col("_tied").isNull() | lead, "first").otherwise("revisit")
+    typed = lambda df, kind: df.select("page_id", "url", "payload", kind.alias("kind"), F.when(kind == "revisit", F.col("_id")).alias("refers_to"))
+    if again.where("_tied").isEmpty():
+        return typed(told, kind)
+    # Rows of one payload and id are told apart by a number, which has to be written to stay.
+    tied = materialise(told.where(lead & F.col("_tied")).withColumn("_row", F.monotonically_increasing_id()), "tied-pages")
+    one = materialise(tied.groupBy("_key").agg(F.min("_row").alias("_one")), "tied-firsts")
+    tied = tied.join(checked_broadcast(one, F.lit(128)), "_key")
+    return typed(told.where(~(lead & F.coalesce("_tied", F.lit(False)))), kind).unionByName(typed(tied, F.when(F.col("_row") == F.col("_one"), "first").otherwise("revisit")))
 
 
 def write_archives(typed: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", level: int = 3, frame_bytes: int = FRAME_BYTES) -> DataFrame:
-    """Write the bundles and the record index; returns the index."""
+    """Write the bundles and the record index; returns the index.  Rows are handled one by one, a frame at a time."""
     spark = typed.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +184,7 @@ def write_archives(typed: DataFrame, folder: str, date: str = "2024-01-01T00:00:
         def rows(done: list[tuple]) -> pa.RecordBatch:
             key, frame, frame_at, frame_n, at, n = zip(*done, strict=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(map(record_id, key), pa.string()), pa.array([name] * len(key), pa.string())]
+                [pa.array([k[0] for k in key], pa.int64()), pa.array([k[1] for k in key], pa.string()), pa.array([name] * len(key), pa.string())]
                 + [pa.array(x, pa.int64()) for x in (frame, frame_at, frame_n, at, n)],
                 names=[f.split()[0] for f in INDEX.split(", ")],
             )
@@ -186,8 +196,9 @@ def write_archives(typed: DataFrame, folder: str, date: str = "2024-01-01T00:00:
                     fs.create_dir(path, recursive=True)
                     sink = fs.open_output_stream(f"{path}/{name}", compression=None)
                     writer = BundleWriter(sink, level, frame_bytes)
-                page_id, url, payload, refers_to = (batch.column(c)[k].as_py() for c in range(4))
-                writer.add(page_id, record(page_id, url, payload.encode(), refers_to, date))
+                page_id, url, payload, kind, refers_to = (batch.column(c)[k].as_py() for c in range(5))
+                own, body = record(page_id, url, payload.encode(), kind, refers_to, date)
+                writer.add((page_id, own), body)
                 if len(writer.ready) >= 4096:
                     yield rows(writer.ready)
                     writer.ready = []
@@ -201,7 +212,7 @@ def write_archives(typed: DataFrame, folder: str, date: str = "2024-01-01T00:00:
             if writer.ready:
                 yield rows(writer.ready)
 
-    index = typed.select("page_id", "url", "payload", "refers_to").mapInArrow(write, INDEX)
+    index = typed.select("page_id", "url", "payload", "kind", "refers_to").mapInArrow(write, INDEX)
     index.write.parquet(f"{folder}/index")
     return spark.read.parquet(f"{folder}/index")
 
@@ -235,7 +246,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(read, READ)
+    return bundles.repartition(shuffle_width(index.sparkSession)).mapInArrow(read, READ)
 
 
 def lookup(folder: str, entry) -> tuple[dict[str, str], bytes]:
@@ -250,11 +261,11 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write all pages as records, read the archives back, one row per record.
 
     Null payload: empty.  Null url: a urn of the page.  Null page_id: the record
-    has no id header and reads back null; its payload is never a revisit.  An
-    empty table writes no bundle and gives no rows.  Repeated rows each get a
-    record.  Other columns are ignored.
+    has no id header and reads back null; it comes after all others of its payload.
+    An empty table writes no bundle and gives no rows.  Repeated rows each get a
+    record, one of them the response.  Other columns are ignored.
     """
     spark = pages.sparkSession
     folder = run_dir(spark, "warc")
     index = write_archives(with_types(pages, least_bytes), folder)
-    return read_archives(index.repartition(shuffle_width(spark), "bundle"), folder)
+    return read_archives(index, folder)
