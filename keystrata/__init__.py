@@ -1 +1 @@
-"""Keyed tables and training-data operators on Spark."""
+"""Keyed tables on Spark, and operators for training data."""

@@ -1 +1 @@
-
+"""Functions on columns: the strict JSON codec."""

@@ -1 +1 @@
-
+"""Streams into keyed tables."""
