@@ -1,12 +1,17 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 Texts are tokenised once; from then on only piece lengths travel.  Pieces are
-dealt to islands of about ``ISLAND`` pieces.  On each island a population of
-packings is bred: a child takes whole well-filled bins of one parent, drops the
-other parent's bins that hold the same pieces, and best-fits what is displaced.
-Well-filled bins of the winner (the elite) are final; the pieces of its other
-bins migrate to the next, sixteen times smaller, round of islands, until one
-island is left.  A task never holds more than an island.
+dealt to chunks of about ``CHUNK``.  Each chunk is first packed by best fit,
+longest first; where that meets the volume bound nothing can be gained.  Every
+other chunk gets ``ISLANDS`` populations of packings, each bred in a task of its
+own: a child takes whole well-filled bins of one parent, drops the other parent's
+bins that hold the same pieces, and best-fits what is displaced.  After each of
+``ROUNDS`` rounds the elite of an island, its best packing, migrates to the next
+island of the chunk, as a row of bin numbers; the best of all is kept.
+
+Bins of 99.5 % or more are then final, and the pieces of the others are dealt to
+new chunks, as long as that leaves less than half of them each time; the last
+chunks close all their bins.  A task never holds more than a chunk.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ from pyspark.sql import functions as F
 from .store import materialise
 
 CAPACITY = 2048
-ISLAND = 8192
-POPULATION, GENERATIONS = 5, 4
+CHUNK = 8192
+ISLANDS, ROUNDS = 3, 2
+POPULATION, GENERATIONS = 4, 6
 WELL_FILLED = 0.995
 PIECES = "_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -140,27 +146,78 @@ def cross(one: list[list[int]], other: list[list[int]], sizes: list[int], capaci
     return best_fit(kept, sorted(displaced, key=lambda i: -sizes[i]), sizes, capacity)
 
 
-def breed(sizes: list[int], capacity: int = CAPACITY, seed: int = 0) -> list[list[int]]:
-    """The best packing found; stops once the volume bound is met."""
-    rng, least = np.random.default_rng(seed), -(-sum(sizes) // capacity)
-    size = np.asarray(sizes)
-    people: list[tuple[tuple, list[list[int]]]] = []
-
-    def add(bins):
-        people.append((fitness(bins, sizes, capacity), bins))
-        people.sort(key=lambda x: x[0], reverse=True)
-        del people[POPULATION:]
-        return len(people[0][1]) == least
-
-    for k in range(POPULATION):
-        order = np.argsort(-size * (1 + 0.1 * k * rng.random(len(size))), kind="stable")
-        if add(best_fit([], order.tolist(), sizes, capacity)):
-            return people[0][1]
-    for _ in range(GENERATIONS):
-        a, b = rng.integers(0, len(people), 2)
-        if add(cross(people[min(a, b)][1], people[max(a, b)][1], sizes, capacity, rng)):
+def bound(sizes: list[int], capacity: int) -> int:
+    """Bins that the volume alone calls for, and that pieces of more than half a bin call for."""
+    return max(-(-sum(sizes) // capacity), sum(2 * x > capacity for x in sizes))
+
+
+def first_packing(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Best fit, longest first."""
+    return best_fit([], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, capacity)
+
+
+def breed(sizes: list[int], capacity: int = CAPACITY, seed: int = 0, elite: list[list[list[int]]] = (), generations: int = GENERATIONS) -> list[list[int]]:
+    """The best packing of one island's population: the elite it is given, and best fits of disturbed orders."""
+    rng, least, size = np.random.default_rng(seed), bound(sizes, capacity), np.asarray(sizes)
+    people = [(fitness(bins, sizes, capacity), k, bins) for k, bins in enumerate([first_packing(sizes, capacity), *elite])]
+    for k in range(max(0, POPULATION - len(people))):
+        order = np.argsort(-size * (1 + 0.2 * (k + 1) * rng.random(len(size))), kind="stable").tolist()
+        bins = best_fit([], order, sizes, capacity)
+        people.append((fitness(bins, sizes, capacity), len(people), bins))
+    people.sort(key=lambda x: (x[0], -x[1]), reverse=True)
+    for n in range(generations):
+        if len(people[0][2]) == least:
             break
-    return people[0][1]
+        a, b = sorted(rng.choice(len(people), 2, replace=False)) if len(people) > 1 else (0, 0)
+        for one, other in ((a, b), (b, a)):
+            bins = cross(people[one][2], people[other][2], sizes, capacity, rng)
+            people.append((fitness(bins, sizes, capacity), len(people) + n, bins))
+        people.sort(key=lambda x: (x[0], -x[1]), reverse=True)
+        people = people[:POPULATION]
+    return people[0][2]
+
+
+def _numbers(bins: list[list[int]], n: int) -> np.ndarray:
+    """The bin of each piece."""
+    out = np.empty(n, np.int32)
+    for k, b in enumerate(bins):
+        out[b] = k
+    return out
+
+
+def _bins(numbers: np.ndarray) -> list[list[int]]:
+    order = np.argsort(numbers, kind="stable")
+    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1)] if len(order) else []
+
+
+CHUNKS = "_chunk long, rids array<long>, sizes array<int>, bins array<int>, open boolean"
+ISLES = "_chunk long, isle int, sizes array<int>, elite array<array<int>>"
+
+
+def _first(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """A chunk as one row, packed by best fit; open: above the volume bound."""
+    rows = rows.sort_values("_rid")
+    sizes = rows["length"].tolist()
+    bins = first_packing(sizes, capacity)
+    return pd.DataFrame({"_chunk": [rows["_chunk"].iloc[0]], "rids": [rows["_rid"].to_numpy()], "sizes": [np.asarray(sizes, np.int32)], "bins": [_numbers(bins, len(sizes))], "open": [len(bins) > bound(sizes, capacity)]})
+
+
+def evolve(chunks: DataFrame, capacity: int) -> DataFrame:
+    """(_chunk, bins): the best packing of each open chunk over all islands."""
+    isles = chunks.where("open").select("_chunk", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("isle"), "sizes", F.array("bins").alias("elite"))
+    for step in range(ROUNDS):
+
+        def run(rows: pd.DataFrame, step=step) -> pd.DataFrame:
+            chunk, isle, sizes, elite = next(rows[["_chunk", "isle", "sizes", "elite"]].itertuples(index=False))  # a group is one island
+            best = breed(sizes.tolist(), capacity, seed=hash((chunk, isle, step)) & 0xFFFFFFFF, elite=[_bins(np.asarray(e)) for e in elite])
+            return pd.DataFrame({"_chunk": [chunk], "isle": [isle], "sizes": [sizes], "elite": [[_numbers(best, len(sizes))]]})
+
+        isles = materialise(isles.groupBy("_chunk", "isle").applyInPandas(run, ISLES), "isles")
+        if step < ROUNDS - 1:  # each island keeps its elite and gets that of the one before
+            moved = isles.select("_chunk", ((F.col("isle") + 1) % ISLANDS).alias("isle"), F.col("elite").alias("_more"))
+            isles = isles.join(moved, ["_chunk", "isle"]).select("_chunk", "isle", "sizes", F.concat("elite", "_more").alias("elite"))
+    used = F.array_max(F.col("elite")[0])
+    return isles.groupBy("_chunk").agg(F.min_by(F.col("elite")[0], F.struct(used, "isle")).alias("bins"))
 
 
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -174,33 +231,36 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
     pieces = materialise(tokenise(docs, tokenizer, ranks, id_col, text_col, capacity, end_id), "pieces")
     pieces = materialise(pieces.withColumn("_rid", F.monotonically_increasing_id()), "piece-ids")
     done = [pieces.where(F.col("length") >= capacity).select("_rid", (-1 - F.col("_rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    pool = pieces.where(F.col("length") < capacity).select("_rid", "length")
+    pool, step = pieces.where(F.col("length") < capacity).select("_rid", "length"), 0
     left = pool.count()
-    islands, level = max(1, -(-left // ISLAND)), 0
     while left:
-        last, n, step = islands == 1, islands, level
-
-        def island(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("_rid", ignore_index=True)
-            sizes, rids = rows["length"].tolist(), rows["_rid"].to_numpy()
-            bins = breed(sizes, capacity, seed=int(rows["_island"].iloc[0]))
-            out_id, out_at, which = np.full(len(rids), -1, np.int64), np.zeros(len(rids), np.int64), int(rows["_island"].iloc[0])
-            for k, b in enumerate(bins):
-                if last or sum(sizes[i] for i in b) >= WELL_FILLED * capacity:
-                    at = 0
-                    for i in b:
-                        out_id[i], out_at[i] = (step << 58) | (which << 20) | k, at
-                        at += sizes[i]
-            return pd.DataFrame({"_rid": rids, "length": sizes, "sequence_id": out_id, "offset": out_at})
-
-        dealt = pool.withColumn("_island", F.pmod(F.xxhash64("_rid", F.lit(step)), F.lit(n)))
-        out = materialise(dealt.groupBy("_island").applyInPandas(island, "_rid long, length long, sequence_id long, offset long"), "islands")
+        n = -(-left // CHUNK)
+        dealt = pool.withColumn("_chunk", F.pmod(F.xxhash64("_rid", F.lit(step)), F.lit(n)))
+        chunks = materialise(dealt.groupBy("_chunk").applyInPandas(lambda rows: _first(rows, capacity), CHUNKS), "chunks")
+        better = chunks.drop("bins").join(evolve(chunks, capacity), "_chunk") if not chunks.where("open").isEmpty() else chunks.limit(0)
+        packed = chunks.where("not open").select("_chunk", "rids", "sizes", "bins").unionByName(better.select("_chunk", "rids", "sizes", "bins"))
+
+        def close(batches: Iterator[pd.DataFrame], least: float, base: int) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for chunk, rids, sizes, numbers in batch.itertuples(index=False):
+                    volume = np.bincount(numbers, sizes)
+                    order = np.argsort(numbers, kind="stable")
+                    ends = np.cumsum(sizes[order], dtype=np.int64)
+                    at = np.empty(len(rids), np.int64)
+                    at[order] = ends - sizes[order] - np.concatenate([[0], np.cumsum(volume)])[numbers[order]].astype(np.int64)
+                    final = volume[numbers] >= least
+                    yield pd.DataFrame({"_rid": rids, "length": sizes, "sequence_id": np.where(final, base | (chunk << 14) | numbers.astype(np.int64), -1), "offset": np.where(final, at, 0)})
+
+        def closed(least: float, name: str, base: int = step << 56) -> DataFrame:
+            return materialise(packed.mapInPandas(lambda x: close(x, least, base), "_rid long, length int, sequence_id long, offset long"), name)
+
+        out = closed(WELL_FILLED * capacity if n > 1 else 0, "packed")
+        pool = out.where("sequence_id < 0").select("_rid", F.col("length").cast("long").alias("length"))
+        after = pool.count()
+        if after and 2 * after > left:  # bins that stay open are as good as it gets
+            out, after = closed(0, "packed"), 0
         done.append(out.where("sequence_id >= 0").select("_rid", "sequence_id", "offset"))
-        pool = out.where("sequence_id < 0").select("_rid", "length")
-        left = pool.count()
-        islands, level = max(1, min(islands // 16, -(-left // ISLAND))) if left > ISLAND else 1, level + 1
-        if islands * ISLAND < left:  # a pool that stays large keeps enough islands to hold it
-            islands = -(-left // ISLAND) if -(-left // ISLAND) < n else max(1, n // 2)
+        left, step = after, step + 1
     placed = done[0]
     for d in done[1:]:
         placed = placed.unionByName(d)
