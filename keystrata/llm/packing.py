@@ -207,7 +207,7 @@ def evolve(chunks: DataFrame, capacity: int) -> DataFrame:
     isles = chunks.where("open").select("_chunk", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("isle"), "sizes", F.array("bins").alias("elite"))
     for step in range(ROUNDS):
 
-        def run(rows: pd.DataFrame, step=step) -> pd.DataFrame:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
             chunk, isle, sizes, elite = next(rows[["_chunk", "isle", "sizes", "elite"]].itertuples(index=False))  # a group is one island
             best = breed(sizes.tolist(), capacity, seed=hash((chunk, isle, step)) & 0xFFFFFFFF, elite=[_bins(np.asarray(e)) for e in elite])
             return pd.DataFrame({"_chunk": [chunk], "isle": [isle], "sizes": [sizes], "elite": [[_numbers(best, len(sizes))]]})
