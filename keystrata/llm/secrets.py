@@ -3,13 +3,19 @@
 Matches come from regexp_extract_all, their places from the lengths of the
 pieces between them (split by the same pattern), in code points.
 
-Candidate strings get an encoding (hex, base32 or base64) from their letters.
-The battery tests chi-squared uniformity over that alphabet, runs about its
-middle and lag-one serial correlation.  For a string that none of these rejects,
-exp(-L) bounds the probability that ordinary text would look so, L being its
-log likelihood as uniform letters over that as text (Markov's inequality); L
-grows with the length.  Benjamini-Hochberg over all candidates, on a histogram
-of L, keeps the false discovery rate below ``FDR``.
+Candidates are runs of key characters, of 14 or more with a digit or of 20 or
+more, and likewise the parts of such a run between its marks, so that a key behind
+a path is tested by itself; those without a letter are numbers and left out.  Each gets an encoding (hex, base32 or base64) from
+its letters, and the battery tests chi-squared uniformity over that alphabet, runs
+about its middle and lag-one serial correlation; three times the least of the
+three p-values is their joint one, p.
+
+exp(-L) bounds the probability that ordinary text would look so, L being the log
+likelihood as uniform letters over that as text (Markov's inequality); it grows
+with the length.  exp(-L) / p is then the evidence against text of a string that
+is random as far as the battery can tell: the larger, the less random it looks.
+Benjamini-Hochberg over all candidates on a histogram of L + ln p keeps the false
+discovery rate below ``FDR``.
 """
 
 from __future__ import annotations
@@ -24,12 +30,14 @@ from .store import materialise
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-RANDOM = "[A-Za-z0-9+/_=-]{20,}"
+RANDOM = "(?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_=-]{14,}|[A-Za-z0-9+/_=-]{20,}"
+MARKS = "[/_=-]"
+PART = "(?=[A-Za-z0-9+]*[0-9])[A-Za-z0-9+]{14,}|[A-Za-z0-9+]{20,}"
 KINDS = ["assign", "access", "hex", "random"]
-FDR, ALPHA, BINS = 0.001, 0.001, 400
+FDR, BINS = 0.001, 400
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-#: Per mille of each letter from a to z in ordinary text (fixed values).
-LETTERS = [82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1]
+#: Per mille of each letter from a to z in that European language which has it most: no language's words look random for their letters.
+LETTERS = [130, 22, 47, 58, 174, 30, 36, 61, 76, 10, 12, 60, 47, 98, 110, 36, 18, 75, 79, 93, 63, 22, 24, 5, 25, 17]
 
 
 def _found(text: Column, pattern: str, kind: str) -> Column:
@@ -56,14 +64,14 @@ def _ln_text(c: Column) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(x) for x in table]), at - 1), F.lit(math.log(0.02 / 4)))
 
 
-def _tail(z: Column) -> Column:
-    """About 2 * (1 - Phi(|z|))."""
+def _log_tail(z: Column) -> Column:
+    """About -ln(2 * (1 - Phi(|z|)))."""
     z = F.abs(z)
-    return F.least(F.lit(1.0), F.exp(-0.717 * z - 0.416 * z * z))
+    return 0.717 * z + 0.416 * z * z
 
 
 def battery(found: DataFrame) -> DataFrame:
-    """found(…, body) with _evidence, the log likelihood ratio, null where the battery rejects randomness."""
+    """found(…, body) with _evidence, the log likelihood ratio plus the log of the battery's joint p-value, not below 0."""
     body = F.rtrim(F.translate("body", "-_=", "+/ "))
     coded = found.withColumn("_b", body).withColumn("_alphabet", F.when(F.lower("_b").rlike("^[0-9a-f]+$") & ((F.lower("_b") == F.col("_b")) | (F.upper("_b") == F.col("_b"))), F.lit(ALPHABETS["hex"])).when(F.col("_b").rlike("^[A-Z2-7]+$"), F.lit(ALPHABETS["base32"])).otherwise(F.lit(ALPHABETS["base64"])))
     coded = coded.withColumn("_b", F.when(F.length("_alphabet") == 16, F.lower("_b")).otherwise(F.col("_b")))
@@ -78,8 +86,8 @@ def battery(found: DataFrame) -> DataFrame:
     })
     mean = 1 + 2 * F.col("_up") * (F.col("_n") - F.col("_up")) / F.col("_n")
     spread = F.sqrt(F.greatest(F.lit(1e-9), (mean - 1) * (mean - 2) / (F.col("_n") - 1)))
-    least = F.least(_tail(F.greatest(F.lit(0.0), (F.col("_chi") - (F.col("_a") - 1)) / F.sqrt(2 * (F.col("_a") - 1)))), _tail((F.col("_runs") - mean) / spread), _tail(F.col("_serial")))
-    return coded.withColumn("_evidence", F.when(3 * least >= ALPHA, F.greatest(F.lit(0.0), F.col("_lr"))))
+    least = F.greatest(_log_tail(F.greatest(F.lit(0.0), (F.col("_chi") - (F.col("_a") - 1)) / F.sqrt(2 * (F.col("_a") - 1)))), _log_tail((F.col("_runs") - mean) / spread), _log_tail(F.col("_serial")))
+    return coded.withColumn("_evidence", F.greatest(F.lit(0.0), F.col("_lr") - F.greatest(F.lit(0.0), least - math.log(3))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
@@ -92,14 +100,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     found = F.concat(*[_found(text, p, k) for p, k in zip((ASSIGN, ACCESS, HEX, RANDOM), KINDS)])
     spans = materialise(docs.select(F.col(id_col).alias("_id"), found.alias("_found")), "secret-spans").withColumn("_rid", F.monotonically_increasing_id())
     spans = materialise(spans, "secret-rows")
-    tested = materialise(battery(spans.select("_rid", F.explode(F.filter("_found", lambda x: x["kind"] == 3)).alias("_s")).select("_rid", "_s", F.col("_s.body").alias("body"))).select("_rid", "_s", "_evidence"), "secret-tests")
+    runs = spans.select("_rid", F.explode(F.filter("_found", lambda x: x["kind"] == 3)).alias("_s"))
+    marked = runs.where(F.col("_s.body").rlike(MARKS)).select("_rid", F.col("_s.start").alias("_at"), F.explode(_found(F.col("_s.body"), PART, "random")).alias("_p"))
+    parts = marked.select("_rid", F.struct((F.col("_at") + F.col("_p.start")).alias("start"), F.col("_p.kind").alias("kind"), (F.col("_at") + F.col("_p.stop")).alias("stop"), F.col("_p.body").alias("body")).alias("_s"))
+    tried = runs.unionByName(parts).withColumn("body", F.col("_s.body")).where(F.col("body").rlike("[A-Za-z]"))
+    tested = materialise(battery(tried).select("_rid", "_s", "_evidence"), "secret-tests")
     bins = tested.groupBy(F.least(F.lit(BINS), F.floor(F.coalesce("_evidence", F.lit(0.0)))).cast("int").alias("bin")).agg(F.count("*").alias("n"))  # BINS + 1 rows at most
     above = Window.orderBy(F.desc("bin"))
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = bins.withColumns({"k": F.sum("n").over(above), "m": F.sum("n").over(every)})
     limit = ranked.where(-F.col("bin") <= F.log(fdr * F.col("k") / F.col("m"))).agg(F.min("bin")).first()[0]
-    kept = tested.where(F.floor("_evidence") >= (limit if limit is not None else BINS + 1)) if limit is not None else tested.where(F.lit(False))
-    more = kept.groupBy("_rid").agg(F.collect_list("_s").alias("_more"))
+    kept = tested.where(F.floor("_evidence") >= limit) if limit is not None else tested.where(F.lit(False))
+    more = kept.groupBy("_rid").agg(F.collect_set("_s").alias("_more"))
     base = F.array_sort(F.filter("_found", lambda x: x["kind"] < 3))
     names = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
