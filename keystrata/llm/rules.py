@@ -1,16 +1,19 @@
 """Quality rules: counts of words, symbols and repeats, and bands of n-gram perplexity.
 
-The model is a modified Kneser-Ney model of order three over UTF-8 bytes, one
-for each language, counted over all documents.  Bytes make its tables bounded
-by construction (256**3 a language), so they can be broadcast as sorted arrays
-of hashes.  Every distinct language value has an id of its own, null too.  Each language's band of log perplexity is [q1 - w*(q3-q1),
-q3 + w*(q3-q1)] over all its documents of enough words.
+The model is a modified Kneser-Ney model of order ``ORDER`` over UTF-8 bytes, one
+for each language value, null too.  Bytes and not words: word trigrams are about
+as many as the words of the corpus, and neither their counts nor the look-ups fit
+a shuffle of less than the input.  Spark counts the n-grams of all documents and
+makes each order's probabilities by joins with the order below, so no task or
+driver holds the model as a whole; sorted hash arrays of ``BLOCK`` n-grams reach
+the scoring tasks, one pass over the texts each.  A language's band of log
+perplexity is [q1 - w*(q3-q1), q3 + w*(q3-q1)] over all its documents of enough
+words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,10 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .store import materialise
 
+ORDER = 5
+BLOCK = 4_000_000  # n-grams broadcast at once
+HELD = 2_000_000  # distinct n-grams counted in a task before they are given on
+BYTES = 8 * ORDER  # the language stands above these bits
 WIDTH = 3.0
 LEAST_WORDS = 50
 SYMBOLS = tv.byte_set(b"#*$%&|<>")
@@ -27,58 +34,73 @@ CONTINUATION = tv.byte_set(range(0x80, 0xC0))
 
 
 def grams(raw: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, code) of each byte with the two before it (0 before the start); the language stands above."""
-    n = len(offsets) - 1
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    b = raw.astype(np.int64)
+    """(document, code) of each byte with the ORDER - 1 before it (0 before the start); the language stands above."""
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     at = np.arange(len(raw)) - offsets[:-1][doc]
-    one, two = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-    one[1:], two[2:] = b[:-1], b[:-2]
-    one[at < 1], two[at < 2] = 0, 0
-    return doc, (lang[doc] << 24) | (two << 16) | (one << 8) | b
-
-
-@dataclass
-class NgramModel:
-    keys: np.ndarray  # sorted hashes
-    logs: np.ndarray  # natural log probability of the last byte
-
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        h = tv.mix(codes.astype(np.uint64))
-        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
-        return np.where(self.keys[at] == h, self.logs[at], np.log(1e-9)) if len(self.keys) else np.zeros(len(codes))
-
-
-def _discounts(counts: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    """The discount of each count, from the counts of counts of its own language."""
-    names, at = np.unique(lang, return_inverse=True)
-    n = [np.maximum(1, np.bincount(at[counts == k], minlength=len(names))) for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1])
-    table = np.stack([0 * y, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]], axis=1)
-    return np.clip(table, 0, [0, 1, 2, 3])[at, np.minimum(counts, 3)]
-
-
-def _level(context: np.ndarray, counts: np.ndarray, lower: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    """Interpolated probabilities of n-grams from their counts and the next lower order's probability."""
-    d = _discounts(counts, lang)
-    _, at = np.unique(context, return_inverse=True)
-    total, back = np.bincount(at, counts), np.bincount(at, d)
-    return np.maximum(counts - d, 0) / total[at] + back[at] / total[at] * lower
-
-
-def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> NgramModel:
-    """Continuation counts for the lower orders, discounts by count 1, 2 and 3 or more."""
-    if not len(codes):
-        return NgramModel(np.empty(0, np.uint64), np.empty(0))
-    lang, two, last = codes >> 24, codes & 0xFFFF, codes & 0xFF
-    pair, pair_at, pair_n = np.unique((lang << 24) | two, return_inverse=True, return_counts=True)
-    single, single_at, single_n = np.unique((pair >> 24 << 24) | (pair & 0xFF), return_inverse=True, return_counts=True)
-    p1 = _level(single >> 24, single_n, np.full(len(single), 1 / 256), single >> 24)
-    p2 = _level((pair >> 24 << 24) | (pair >> 8 & 0xFF), pair_n, p1[single_at], pair >> 24)
-    p3 = _level((lang << 24) | (codes >> 8 & 0xFFFF), counts, p2[pair_at], lang)
-    keys = tv.mix(codes.astype(np.uint64))
-    order = np.argsort(keys)
-    return NgramModel(keys[order], np.log(p3)[order])
+    code = raw.astype(np.int64)
+    for k in range(1, ORDER):
+        before = np.zeros(len(raw), np.int64)
+        before[k:] = raw[:-k] if len(raw) > k else 0
+        before[at < k] = 0
+        code |= before << (8 * k)
+    return doc, code | (lang[doc] << BYTES)
+
+
+class HashArray:
+    """Values by key: keys' hashes in order, with the place where each of many equal ranges begins."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        hashes = tv.mix(keys.astype(np.uint64))
+        order = np.argsort(hashes)
+        self.hashes = np.append(hashes[order], np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.values = np.append(values[order], 0.0)
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        ranges = np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift
+        self.starts = np.searchsorted(self.hashes[:-1], ranges)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """0 for keys that aren't held."""
+        h = tv.mix(keys.astype(np.uint64))
+        at = self.starts[h >> self.shift]
+        low = np.flatnonzero(self.hashes[at] < h)
+        while len(low):
+            at[low] += 1
+            low = low[self.hashes[at[low]] < h[low]]
+        return np.where(self.hashes[at] == h, self.values[at], 0.0)
+
+
+def _discounts(level: DataFrame) -> DataFrame:
+    """_lang, d1, d2, d3: the discounts of a count of one, two and more, from the counts of counts of each language."""
+    n = [F.greatest(F.lit(1), F.count_if(F.col("c") == k)).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    between = lambda x, most: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), x))
+    found = level.groupBy("_lang").agg(*n)
+    return found.select("_lang", *[between(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), k).alias(f"d{k}") for k in (1, 2, 3)])
+
+
+def _level(level: DataFrame, order: int, lower: DataFrame | None) -> DataFrame:
+    """level (_lang, g, c) with p, interpolated with the next lower order (256 equal bytes below the first)."""
+    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    own = level.join(F.broadcast(_discounts(level)), "_lang").select("_lang", "g", "c", d.alias("d"), F.shiftright("g", 8).alias("context"))  # one row a language
+    totals = own.groupBy("_lang", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("back"))
+    own = own.join(totals, ["_lang", "context"])
+    if lower is None:
+        below = own.withColumn("below", F.lit(1 / 256))
+    else:
+        below = own.withColumn("short", F.col("g").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1))).join(lower.select("_lang", F.col("g").alias("short"), F.col("p").alias("below")), ["_lang", "short"])
+    return below.select("_lang", "g", (F.greatest(F.lit(0.0), F.col("c") - F.col("d")) / F.col("total") + F.col("back") / F.col("total") * F.col("below")).alias("p"))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(_lang, g, p) of the n-grams of the highest order, from their counts (g, c); lower orders count the n-grams they continue."""
+    levels = [materialise(counts.select(F.shiftright("g", BYTES).alias("_lang"), F.col("g").bitwiseAND(F.lit((1 << BYTES) - 1)).alias("g"), "c"), f"grams-{ORDER}")]
+    for order in range(ORDER - 1, 0, -1):
+        suffix = F.col("g").bitwiseAND(F.lit((1 << (8 * order)) - 1)).alias("g")
+        levels.append(materialise(levels[-1].groupBy("_lang", suffix).agg(F.count("*").alias("c")), f"grams-{order}"))
+    p = None
+    for order, level in enumerate(reversed(levels), 1):
+        p = materialise(_level(level, order, p), f"model-{order}")
+    return p
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -89,17 +111,29 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     return plain.join(F.broadcast(langs), F.col("_name").eqNullSafe(F.col("_n"))).select("_id", "_text", "_lang")
 
 
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
+
 def count_grams(slim: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, int] = {}
+        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], names=["g", "c"])
         for batch in batches:
             raw, offsets = tv.column_bytes(batch.column("_text"))
             lang = batch.column("_lang").to_numpy()
             for a, b in tv.slices(offsets, 1 << 22):
-                keys, counts = np.unique(grams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lang[a:b])[1], return_counts=True)
-                for k, c in zip(keys.tolist(), counts.tolist()):
-                    held[k] = held.get(k, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["g", "c"])
+                own = np.unique(grams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lang[a:b])[1], return_counts=True)
+                keys.append(own[0])
+                counts.append(own[1])
+                if sum(map(len, keys[1:])) > HELD // 2:
+                    keys, counts = map(lambda x: [x], _merged(keys, counts))
+                if len(keys) == 1 and len(keys[0]) > HELD:
+                    yield give()
+                    keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        keys, counts = map(lambda x: [x], _merged(keys, counts))
+        yield give()
 
     return slim.select("_text", "_lang").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -130,38 +164,57 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [words, chars, symbols, np.bincount(line_doc[again], minlength=n), np.bincount(of[hit], minlength=n)]
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
-    """One row per row of docs with its counts, base_failed, kept, log_perplexity and the band.
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    Null texts have no words and fail.  A null language is a language of its own,
-    apart from the empty one.
-    Repeated rows each get a result; an empty table gives no rows.
-    """
-    slim = _slim(docs, id_col, text_col, lang_col)
-    table = count_grams(slim).toArrow()  # 256**3 rows a language at most
-    model = docs.sparkSession.sparkContext.broadcast(kneser_ney(table.column("g").to_numpy(), table.column("c").to_numpy()))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+def _pass(df: DataFrame, shared, first: bool, last: bool) -> DataFrame:
+    """Add one block's part of the loss a byte, and in the first pass the measures; the text goes with the last."""
+    kept = ["_id", "_lang", *NAMES, "log_perplexity"] + ([] if last else ["_text"])
+    kinds = {"log_perplexity": "double", "_text": "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+        own = shared.value
         for batch in batches:
             raw, offsets = tv.column_bytes(batch.column("_text"))
             lang = batch.column("_lang").to_numpy()
             for a, b in tv.slices(offsets, 1 << 21):
-                r, o = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                r, o, part = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch.slice(a, b - a)
                 doc, codes = grams(r, o, lang[a:b])
-                loss = -np.bincount(doc, own.score(codes), minlength=b - a) / np.maximum(1, np.diff(o))
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_lang"), *[pa.array(m, pa.int64()) for m in measures(r, o)], pa.array(loss)], names=["_id", "_lang", *names, "log_perplexity"])
+                loss = -np.bincount(doc, own.get(codes), minlength=b - a) / np.maximum(1, np.diff(o))
+                cells = {"_id": part.column("_id"), "_lang": part.column("_lang"), "_text": part.column("_text")}
+                if first:
+                    cells |= dict(zip(NAMES, (pa.array(m, pa.int64()) for m in measures(r, o))))
+                else:
+                    cells |= {n: part.column(n) for n in NAMES}
+                    loss = loss + part.column("log_perplexity").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(loss) if n == "log_perplexity" else cells[n] for n in kept], names=kept)
+
+    return df.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'long')}" for n in kept))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
+    """One row per row of docs with its counts, base_failed, kept, log_perplexity and the band.
 
-    out = slim.mapInArrow(run, "_id long, _lang long, " + ", ".join(f"{n} long" for n in names) + ", log_perplexity double")
-    out = materialise(out, "quality-measures")
+    Null texts have no words and fail.  A null language is a language of its own,
+    apart from the empty one.
+    Repeated rows each get a result; an empty table gives no rows.
+    """
+    slim = _slim(docs, id_col, text_col, lang_col)
+    spark = docs.sparkSession
+    model = kneser_ney(count_grams(slim)).select(F.shiftleft("_lang", BYTES).bitwiseOR(F.col("g")).alias("g"), F.log("p").alias("log"))
+    size = model.count()
+    blocks, out = max(1, -(-size // BLOCK)), slim
+    for k in range(blocks):
+        rows = model.where(F.pmod(F.xxhash64("g"), F.lit(blocks)) == k).toArrow()  # about BLOCK rows
+        shared = spark.sparkContext.broadcast(HashArray(rows.column("g").to_numpy(), rows.column("log").to_numpy()))
+        out = materialise(_pass(out, shared, k == 0, k == blocks - 1), "quality-measures")
+        shared.unpersist()
     q = F.percentile_approx("log_perplexity", [0.25, 0.75], 10000)
     bands = out.where(F.col("n_words") >= LEAST_WORDS).groupBy("_lang").agg(q.alias("_q")).select(
         "_lang", (F.col("_q")[0] - width * (F.col("_q")[1] - F.col("_q")[0])).alias("band_low"), (F.col("_q")[1] + width * (F.col("_q")[1] - F.col("_q")[0])).alias("band_high")
     )  # one row a language
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.join(F.broadcast(bands), "_lang", "left").select(
-        F.col("_id").alias(id_col), *names, failed.alias("base_failed"),
+        F.col("_id").alias(id_col), *NAMES, failed.alias("base_failed"),
         F.coalesce(~failed & F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False)).alias("kept"), "log_perplexity", "band_low", "band_high",
     )
