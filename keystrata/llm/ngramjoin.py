@@ -253,4 +253,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     told = materialise(told.select("_row", "_id", "grp"), "groups")
     stays = told.groupBy("grp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_s"), F.count("*").alias("_n")).where("_n > 1").select("grp", F.col("_s._row").alias("_stays"))
     gone = told.join(stays, "grp").where("_row <> _stays").select("_row")
+    gone = checked_broadcast(materialise(gone, "copies"), F.lit(16))
     return plain.join(gone, "_row", "left_anti").drop("_row").toDF(*docs.columns)
