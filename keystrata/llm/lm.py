@@ -41,6 +41,7 @@ DIM, NOISE, STEPS = 24, 10, 200
 AXES, PRIOR, NEWTON = 7, 40.0, 6
 BLOCK = 2_000_000
 LN10 = float(np.log(10))
+WORD_ROW = "h long, c long, d0 long, d1 long"  # a word's AXES + 1 vector elements are eight halves, four in each of d0 and d1
 
 
 def _kinds() -> np.ndarray:
@@ -232,7 +233,7 @@ def _sums(df: DataFrame, run, size: int) -> np.ndarray:
 
 
 def learn_words(pairs: DataFrame, classes: Classes) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(h, c, d) of every word that isn't a class of its own, the features, and ln of the normalisers [class, kind]."""
+    """WORD_ROW of every word that isn't a class of its own, the features, and ln of the normalisers [class, kind]."""
     # h is the partitioning of both groups, and a word has at most KINDS rows: one shuffle and no heavy key.
     lists = pairs.repartition("h").groupBy("h", "m").agg(F.sum("n").alias("n")).groupBy("h").agg(F.collect_list(F.struct("m", "n")).alias("l"))
     lists = materialise(lists, "lm-lists")
@@ -254,10 +255,10 @@ def learn_words(pairs: DataFrame, classes: Classes) -> tuple[DataFrame, np.ndarr
             for part, n, cls in _counted(batch, told.value):
                 c = n.sum(axis=1)
                 d = fit_words(n, cls, told.value.log_share(cls, c), told.value.after, x).astype("<f2")
-                vectors = pa.array([r.tobytes() for r in d], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(c.astype(np.int64)), vectors], names=["h", "c", "d"])
+                halves = d.view("<i8").T
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(c.astype(np.int64)), pa.array(halves[0].copy()), pa.array(halves[1].copy())], names=["h", "c", "d0", "d1"])
 
-    vectors = materialise(lists.mapInArrow(fit, "h long, c long, d binary"), "lm-vectors")
+    vectors = materialise(lists.mapInArrow(fit, WORD_ROW), "lm-vectors")
     discard(lists)
 
     def normalise(batches):
@@ -278,11 +279,21 @@ def learn_words(pairs: DataFrame, classes: Classes) -> tuple[DataFrame, np.ndarr
 
 
 def _arrays(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, counts, vectors) of rows (h, c, d)."""
-    d = np.frombuffer(b"".join(rows.column("d").to_pylist()), "<f2").reshape(-1, AXES + 1)
+    """(hashes, counts, vectors) of rows WORD_ROW."""
+    d = np.stack([rows.column("d0").to_numpy(), rows.column("d1").to_numpy()], axis=1).view("<f2")
     return rows.column("h").to_numpy().view(np.uint64), rows.column("c").to_numpy(), d
 
 
+def _block(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of one block, about BLOCK of them, as arrays sorted by hash."""
+    keys, counts, d = _arrays(table.toArrow())
+    order = np.argsort(keys)
+    out = keys[order], counts[order], d[order]
+    del keys, counts, d
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def held_out(id_col: F.Column) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -295,7 +306,7 @@ class Model(NamedTuple):
 
 
 def learn(training: DataFrame) -> tuple[Model, DataFrame, int, int, int]:
-    """The model, the words (h, c, d), the numbers of training tokens, of distinct ones and of texts."""
+    """The model, the words as WORD_ROW, the numbers of training tokens, of distinct ones and of texts."""
     words = materialise(count_words(training), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     texts = training.count()
@@ -303,7 +314,7 @@ def learn(training: DataFrame) -> tuple[Model, DataFrame, int, int, int]:
     h, c = best.column("h").to_numpy().view(np.uint64), best.column("c").to_numpy()
     order = np.argsort(h)
     ranked, ranked_class = h[order], rank_class(np.arange(len(h)))[order]
-    top = words.sparkSession.createDataFrame([(int(a), int(b), b"\0" * 2 * (AXES + 1)) for a, b in zip(h[:TOP].view(np.int64), c[:TOP])], "h long, c long, d binary")
+    top = words.sparkSession.createDataFrame([(int(a), int(b), 0, 0) for a, b in zip(h[:TOP].view(np.int64), c[:TOP])], WORD_ROW)
 
     def members(batches):
         for batch in batches:
@@ -340,9 +351,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     table = vectors.unionByName(top)
     out = slim.withColumns({"_sum": F.lit(0.0), "_known": F.lit(0).cast("long"), "_tokens": F.lit(0).cast("long"), "_lm": F.lit(0.0)})
     for b in range(blocks):
-        keys, counts, d = _arrays(table.where(F.pmod("h", F.lit(blocks)) == b).toArrow())  # about BLOCK rows
-        order = np.argsort(keys)
-        shared = spark.sparkContext.broadcast((keys[order], counts[order], d[order]))
+        shared = spark.sparkContext.broadcast(_block(table.where(F.pmod("h", F.lit(blocks)) == b)))
         last, read = b == blocks - 1, out
         out = _pass(out, shared, model, b, blocks, last)
         if not last:

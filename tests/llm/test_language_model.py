@@ -25,7 +25,7 @@ def table(spark):
 
 def test_scores_equal_a_plain_version(table):
     model, vectors, top, n, v, texts = lm.learn(table.select(F.col("text").alias("_text"), lm.held_out(F.col("doc_id")).alias("o")).where("not o"))
-    known = {r.h % (1 << 64): (r.c, np.frombuffer(bytes(r.d), "<f2").astype(float)) for r in vectors.union(top).collect()}
+    known = {r.h % (1 << 64): (r.c, np.array([r.d0, r.d1]).view("<f2").astype(float)) for r in vectors.union(top).collect()}
     k = model.classes
     assert len(known) == v - 1
 
