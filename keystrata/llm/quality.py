@@ -130,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y").cast(pa.int32()), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["_id", "_y", "_x"])
 
     joined = texts.join(F.broadcast(chosen), "_id").select("_id", F.col("_y").cast("int").alias("_y"), "_text")  # at most `sample` rows
-    rows = joined.mapInArrow(run, schema).dropDuplicates(["_id"]).toArrow()
+    # Of texts that share an id the one of least features is taken, whatever the order of rows.
+    rows = joined.mapInArrow(run, schema).groupBy("_id").agg(F.min(F.struct("_y", "_x")).alias("_r")).select("_id", "_r._y", "_r._x").toArrow()
     order = np.argsort(rows.column("_id").to_numpy())
     x = rows.column("_x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)[order]
     return fit(x, rows.column("_y").to_numpy()[order]) if len(x) else Model(np.zeros(FEATURES, np.float32), np.ones(FEATURES, np.float32), np.zeros((FEATURES, RANK), np.float32), np.zeros((0, RANK), np.float32), np.zeros(0, np.float32))
