@@ -192,15 +192,20 @@ def engine_buffered_list(spark, d):
 
 
 def stream_upsert(spark, d):
-    """events as a stream of files into a table, one run a micro-batch."""
+    """events as a stream of files into a table, one run a micro-batch.
+
+    The stream stops after each of its two batches and goes on from its checkpoint,
+    so that a batch may be many files.  A file is a row group, which one task sorts
+    whole; its rows are bounded, as 128 MB of compressed events are 15 million.
+    """
     folder = _folder(spark, "stream")
     log = _t(spark, d, "events").select("user_id", *EVENT_TYPES, (F.col("event_type") == "error").alias("gone"))
-    log.where("event_id < 3000").coalesce(1).write.parquet(f"{folder}/in")
-    log.where("event_id >= 3000").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     db = Database(spark, f"{folder}/db")
     db.create_table("events", "user_id", "big_integer", EVENT_TYPES)
-    changes = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    upsert.start(db, "events", changes, ["event_id"], f"{folder}/checkpoint", "gone").awaitTermination()
+    for part in ("event_id < 3000", "event_id >= 3000"):
+        log.where(part).write.mode("append").option("maxRecordsPerFile", 1 << 20).parquet(f"{folder}/in")
+        changes = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
+        upsert.start(db, "events", changes, ["event_id"], f"{folder}/checkpoint", "gone").awaitTermination()
     db.refresh()
     return db.current("events")
 
